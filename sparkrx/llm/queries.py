@@ -5,21 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, mixing, simhash
+from . import decontam, extract, langid, line_dedup, mixing, quality, secrets, simhash, toxicity, urls
 from .common import held_out_col, table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("kept_sha256"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(langid.learnable(docs))
     return langid.with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out_col(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.BASE)]
+    base = secrets.as_text(F.filter("found", lambda x: x["kind"] < len(secrets.BASE)))
+    return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), secrets.as_text(F.col("found")).alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
@@ -28,15 +47,28 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    # four in five labels may be learned; what is joined is the labels' sample, which toxicity.train bounds
+    model = toxicity.train(docs.join(labels.where(~held_out_col(F.col("doc_id"))), "doc_id"))
+    scored = toxicity.with_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out_col(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.found_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_language_id": op5_language_id,
+    "op6_secret_scans": op6_secret_scans,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
 
