@@ -202,19 +202,22 @@ class TextCNN:
         return 1 / (1 + np.exp(-np.clip(z - cut, -30, 30)))
 
 
-def train(labelled: DataFrame, per_label: int = TRAIN_DOCS, seed: int = 42) -> TextCNN | None:
-    """A classifier fit on (doc_id, text, lang, toxic); lang only calibrates. A bounded sample of either label, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, seed: int = 42) -> TextCNN | None:
+    """A classifier fit on ``docs`` (doc_id, text, lang) by ``labels`` (doc_id, toxic); lang only tells languages apart.
 
-    Four in five of the sample fit the network, the rest its thresholds. None if nothing is labelled.
+    The sample, about ``per_label`` labels of either kind and never more than four times that, is drawn from the labels alone by a hash of
+    the id, so texts are not shuffled: the sample's ids are few enough to broadcast. Four in five of the sample fit the network, the rest its
+    thresholds. None if nothing is labelled. Null ids join nothing; a document that repeats is taken as often as it comes.
     """
-    labelled = labelled.where("toxic in (0, 1)").select("doc_id", "text", "lang", "toxic")
-    counts = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
+    labels = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
+    counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     if not counts:
         return None
     share = F.lit(0)
     for label, n in sorted(counts.items()):
         share = F.when(F.col("toxic") == label, min(1 << 20, (per_label << 20) // n + 1)).otherwise(share)
-    picked = labelled.withColumn("__r", spread(F.col("doc_id"))).where(F.col("__r") < share)
+    chosen = labels.withColumn("__r", spread(F.col("__id"))).where(F.col("__r") < share).orderBy("__r", "__id", "toxic").limit(4 * per_label)
+    picked = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
 
     def run(batches):
         for b in sliced(batches, "text"):

@@ -242,13 +242,13 @@ def test_toxicity(spark, docs, empty):
                 words[rng.randrange(60)] = rng.choice([f"nasty{lang}", f"awful{lang}!", f"Vile{lang}"])
         rows.append((i, " ".join(words), lang, toxic))
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
-    model = toxicity.train(langid.learnable(train))
+    model = toxicity.train(train, langid.learnable(train))
     got = {r.doc_id: r for r in toxicity.with_scores(train, model).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     assert sum(got[r[0]].predicted == r[3] for r in held) >= 0.95 * len(held)
     odd = toxicity.with_scores(docs, model).collect()
     assert len(odd) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in odd)
-    assert toxicity.with_scores(empty, model).collect() == [] and toxicity.train(train.limit(0)) is None
+    assert toxicity.with_scores(empty, model).collect() == [] and toxicity.train(train, train.limit(0)) is None
     assert {r.score for r in toxicity.with_scores(docs, None).collect()} == {0.0}
 
 
