@@ -56,18 +56,18 @@ class Text:
 
 def few_letters(t: Text) -> bool:
     kinds = Counter(t.words)
-    return sum(n for w, n in kinds.items() if LETTER.search(w.decode("utf-8", "replace"))) < 0.7 * t.n
+    return sum(n for w, n in kinds.items() if LETTER.search(w.decode("utf-8", "replace"))) * 10 < 7 * t.n
 
 
 #: name: whether the rule rejects a text of at least one word
 RULES: dict[str, Callable[[Text], bool]] = {
     "word_length": lambda t: not 2 * t.n <= t.word_chars <= 15 * t.n,
-    "symbols": lambda t: t.symbols > 0.1 * t.n,
-    "repeated_lines": lambda t: t.dup_lines > 0.5 * len(t.lines),
+    "symbols": lambda t: 10 * t.symbols > t.n,
+    "repeated_lines": lambda t: 2 * t.dup_lines > len(t.lines),
     "few_letters": few_letters,
-    "bullets": lambda t: sum(x.lstrip().startswith(BULLETS) for x in t.lines) > 0.9 * len(t.lines),
-    "ellipses": lambda t: sum(x.rstrip().endswith(ELLIPSES) for x in t.lines) > 0.3 * len(t.lines),
-    "one_word": lambda t: max(Counter(t.words).values()) > 0.4 * t.n,
+    "bullets": lambda t: sum(x.lstrip().startswith(BULLETS) for x in t.lines) * 10 > 9 * len(t.lines),
+    "ellipses": lambda t: sum(x.rstrip().endswith(ELLIPSES) for x in t.lines) * 10 > 3 * len(t.lines),
+    "one_word": lambda t: max(Counter(t.words).values()) * 10 > 4 * t.n,
 }
 
 

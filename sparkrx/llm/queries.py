@@ -72,6 +72,24 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+e AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+g AS (SELECT r, pos, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM e WINDOW o AS (PARTITION BY r ORDER BY pos)),
+twice AS (SELECT r, pos FROM g WHERE gram IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+cover AS (SELECT r, count(DISTINCT pos + k) AS n FROM twice, range(3) AS s(k) GROUP BY r),
+kinds AS (SELECT r, max(n) AS top, sum(n) FILTER (WHERE regexp_matches(word, '\p{L}')) AS lettered FROM (SELECT r, word, count(*) AS n FROM e GROUP BY r, word) GROUP BY r),
+b AS (SELECT w.r, doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, len(ls) AS n_lines, coalesce(top, 0) AS top, coalesce(lettered, 0) AS lettered,
+  len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣]'))) AS bullets,
+  len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS ellipses
+  FROM w LEFT JOIN cover ON w.r = cover.r LEFT JOIN kinds ON w.r = kinds.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_symbols <= n_words
+  AND 2 * n_dup_lines <= n_lines AND 10 * lettered >= 7 * n_words AND 10 * bullets <= 9 * n_lines AND 10 * ellipses <= 3 * n_lines AND 10 * top <= 4 * n_words AS kept FROM b
+""",
     "op3_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
