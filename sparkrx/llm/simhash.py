@@ -20,17 +20,24 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, texts, written
+from .common import sliced, text_map, texts, written
 from .xxh import xxh64_slices
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, which generates the Golay code
 NEAR = 3
 #: Keys that more fingerprints share than this are not compared in one task; their fingerprints take the finer keys of ``masked``.
 LARGE = 4096
+#: Fingerprints of parts that a text gets for each level of its size.
+PARTS = 32
+#: Candidates of up to so many shingles in all are compared in one task; more are dealt into blocks, every two of which meet.
+BLOCK = 1 << 20
+#: Lists of up to so many rows are broadcast; longer ones are joined by shuffle.
+SMALL_LIST = 500_000
 
 
 @cache
@@ -89,12 +96,11 @@ SPACES = np.zeros(256, bool)
 SPACES[list(b" \t\n\x0b\x0c\r")] = True
 
 
-def fingerprints(batch: list[bytes], shingle: int = 3) -> np.ndarray:
-    """SimHash of each text's shingles' XXH64 (seed 42): a bit is 1 if more than half the shingles have it. No words: 0.
+def shingle_hashes(batch: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of every shingle of the texts, one after the other, and how many each text has.
 
-    A-Z are lower-cased. A text of fewer words than a shingle is one shingle. All texts are cut and hashed together.
+    A-Z are lower-cased. A text of fewer words than a shingle is one shingle, one without words none. All texts are cut and hashed together.
     """
-    out = np.zeros(len(batch), np.uint64)
     buffer = b"\n".join(batch).lower() + b"\n"
     stops = np.cumsum([len(t) + 1 for t in batch]) - 1
     raw = np.frombuffer(buffer, np.uint8)
@@ -106,23 +112,31 @@ def fingerprints(batch: list[bytes], shingle: int = 3) -> np.ndarray:
     norm = np.where(SPACES[norm], np.uint8(32), norm)  # words, each with one space behind it
     ends = np.flatnonzero(norm == 32)
     if not len(ends):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(batch), np.int64)
     starts = np.concatenate([[0], ends[:-1] + 1])
     counts = np.bincount(np.searchsorted(stops, np.flatnonzero(gap)), minlength=len(batch))
     firsts = np.cumsum(counts) - counts
     per_text = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
     words = np.minimum(counts, shingle)
     first_word = np.repeat(firsts, per_text) + np.arange(per_text.sum()) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    hashes = xxh64_slices(norm.tobytes() + bytes(8), starts[first_word], ends[first_word + np.repeat(words, per_text) - 1])
-    begin = 0
+    return xxh64_slices(norm.tobytes() + bytes(8), starts[first_word], ends[first_word + np.repeat(words, per_text) - 1]), per_text
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The SimHash of one or more hashes: a bit is 1 if more than half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprints(batch: list[bytes], shingle: int = 3) -> np.ndarray:
+    """SimHash of each text's shingles; no words: 0."""
+    hashes, per_text = shingle_hashes(batch, shingle)
+    out, begin = np.zeros(len(batch), np.uint64), 0
     for i, n in enumerate(per_text.tolist()):
-        if not n:
-            continue
-        ones = np.zeros(64, np.int64)
-        for k in range(begin, begin + n, 1 << 14):
-            part = hashes[k : min(k + (1 << 14), begin + n)]
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        out[i] = np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]
+        if n:
+            out[i] = majority(hashes[begin : begin + n])
         begin += n
     return out
 
@@ -288,3 +302,151 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
         rows = rows.dropDuplicates(["__id", "__th"])
     return rows.drop("__xx", "__id", "__th", "__n")
 
+
+def shingle_sets(batch: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The different shingles of each text, sorted."""
+    hashes, per_text = shingle_hashes(batch, shingle)
+    ends = np.cumsum(per_text)
+    return [np.unique(hashes[e - n : e]) for e, n in zip(ends.tolist(), per_text.tolist())]
+
+
+def levels(n: int) -> list[int]:
+    """Logarithms of the numbers of parts for n shingles. Sets of Jaccard similarity 0.8 or more have sizes within a factor of 1.25, so share one."""
+    return sorted({max(2, (k // 4).bit_length() - 1) for k in (n, n * 5 // 4)}) if n >= 4 else []
+
+
+def part_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a set of shingles: SimHashes of PARTS parts of it, of 4 to 8 shingles each in all but the smallest sets.
+
+    The shingles alone say which part they fall into, so two sets agree in all parts without a shingle that only one of them has. At
+    similarity 0.8 that holds for a quarter of the parts or more; small sets are dealt out several times, with PARTS parts altogether.
+    Sets of fewer than four shingles are 0.8 similar only if they are equal, and have no keys.
+    """
+    out = []
+    for level in levels(len(hashes)):
+        for deal in range(max(1, PARTS >> level)):
+            mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (deal + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            part = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - level)
+            at = np.flatnonzero(part < PARTS)
+            if not len(at):
+                continue
+            at = at[np.argsort(part[at], kind="stable")]
+            part = part[at].astype(np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            n = np.diff(np.append(begin, len(at)))
+            ones = np.add.reduceat(np.unpackbits(hashes[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), begin, axis=0, dtype=np.int64)
+            fps = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+            low, high = fps & np.uint64(0xFFFFFFFF), fps >> np.uint64(32)
+            out.append(_mixed(1000 + level, low, high, part[begin] | deal << 8, np.minimum(n, 0xFFFFFF)))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (positions in ``sets``) that connect what all pairs of Jaccard similarity 0.8 or more connect."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = ids.ravel()
+    holders = owner[np.argsort(ids, kind="stable")]
+    counts = np.bincount(ids)
+    firsts, begins = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    links, left = [], np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        todo, left[first] = [first] if left[first] else [], False
+        while todo and left.any():
+            a = todo.pop()
+            own = ids[begins[a] : begins[a] + sizes[a]]
+            n = counts[own]
+            at = np.repeat(firsts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(holders[at], minlength=len(sets))
+            found = np.flatnonzero(left & (9 * common >= 4 * (sizes + sizes[a])))  # common / (size + size - common) >= 4 / 5
+            links += [(a, b) for b in found.tolist()]
+            left[found] = False
+            todo += found.tolist()
+    return links
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= SMALL_LIST else rows
+
+
+def _rows_of(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    """``docs`` (with the hash ``__xx`` of the text) joined to a list of rows (__id, __th)."""
+    return docs.join(_listed(listed), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__xx") == F.col("__th")), how)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(node, root) of the sets in ``nodes`` (set, fp, keys) that may be similar: components of equal keys and of fingerprints within NEAR."""
+    keys = written(nodes.select("set", F.explode("keys").alias("key")), "part-keys")
+    low = keys.groupBy("key").agg(F.min("set").alias("b"), F.max("set").alias("c")).where("b < c").select(F.col("key").alias("k"), "b")
+    parts = keys.join(low, F.col("key") == F.col("k")).where("set != b").select(F.col("set").alias("a"), "b").distinct()
+    whole = links_of(nodes.select("fp").distinct())
+    several = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    several = several.union(whole.select("a")).union(whole.select("b")).distinct()
+    # fingerprints are nodes of their own, through which the sets that have them are linked
+    named = nodes.join(several.withColumnRenamed("fp", "b"), F.col("fp") == F.col("b")).where("set != b").select(F.col("set").alias("a"), "b")
+    return components(written(parts.union(whole).union(named), "candidates"))
+
+
+def similar_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, text_hash, set, __best for every row of ``docs`` (doc_id, text): the component of its set of shingles and that one's first row.
+
+    Sets link at Jaccard similarity 0.8 or more, which is computed on the sets themselves. Candidates come from SimHashes of the whole
+    set (within NEAR bits) and of parts of it (equal); a pair at 0.8 shares none with a probability of about 2 in 10,000, one at 0.85 or
+    more practically never. Texts without words have the empty set, which is similar to itself only.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("__text"))
+
+    def run(b):
+        sets = shingle_sets(texts(b, "__text"), shingle)
+        names = [xxhash.xxh64_intdigest(x.tobytes(), 7) - (1 << 63) for x in sets]
+        fps = np.array([majority(x) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+        keys = [part_keys(x) for x in sets]
+        keys = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)], dtype=np.int32), np.concatenate(keys))
+        cells = [pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps), keys]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *cells], names=["doc_id", "text_hash", "set", "size", "fp", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = written(text_map(rows, run, f"doc_id {kind}, text_hash long, set long, size long, fp long, keys array<long>", "__text"), "shingle-sets")
+    # copies meet here first: all that follows sees each set once
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("text_hash").alias("th")))
+    nodes = written(prints.groupBy("set").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), least.alias("first")), "sets")
+    found = nodes.where("size > 0").join(candidates(nodes.where("size > 0")), F.col("set") == F.col("node")).select("set", "root", "size", "first")
+    found = written(found, "found")
+    total = found.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+    found = found.join(total, F.col("root") == F.col("r")).withColumn("blocks", F.ceil(F.col("total") / BLOCK))
+    found = found.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "set"), "blocks"))
+    found = written(found.select(F.col("first.id").alias("__id"), F.col("first.th").alias("__th"), "set", "root", "blocks", "block"), "members")
+    near = _rows_of(rows.withColumnRenamed("text_hash", "__xx"), found, "inner")
+    # blocks (i, j), i <= j; where there is more than one, i < j is enough
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.col("block"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("block"))))
+    near = near.select("root", "set", "block", other.alias("other"), "__text").select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "__text")
+
+    def compare(group):
+        named = {n: t for n, t in zip(group.column("set").to_pylist(), group.column("__text").cast(pa.binary()).to_pylist())}
+        names = list(named)
+        out = similar_links(shingle_sets(list(named.values()), shingle)) if len(names) > 1 else []
+        return pa.table({"a": pa.array([names[a] for a, _ in out], pa.int64()), "b": pa.array([names[b] for _, b in out], pa.int64())})
+
+    links = written(near.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long"), "similar")
+    comp = components(links)
+    named = nodes.select("set", "first").join(comp, F.col("set") == F.col("node")).select(F.col("set").alias("s"), "root", "first")
+    best = named.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least"))
+    named = named.join(best, F.col("root") == F.col("r")).select("s", "least")
+    nodes = written(nodes.select("set", "first").join(named, F.col("set") == F.col("s"), "left").select(F.col("set").alias("s"), F.coalesce("least", "first").alias("__best")), "classes")
+    return prints.select("doc_id", "text_hash", "set").join(nodes, F.col("set") == F.col("s")).drop("s")
+
+
+def without_similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """One row of each component of ``similar_sets``, all columns kept: the one with the smallest doc_id (rows without one last)."""
+    found = similar_sets(docs, shingle)
+    named = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).agg(F.count("*").alias("__n"), F.first("__best").alias("__best"))
+    first = F.col("__id").eqNullSafe(F.col("__best.id")) & (F.col("__th") == F.col("__best.th"))
+    named = written(named.select("__id", "__th", "__n", first.alias("__first")).where("not __first or __n > 1"), "surplus")
+    rows = docs.withColumn("__xx", F.xxhash64("text"))
+    kept = _rows_of(rows, named.where("not __first").select("__id", "__th"), "left_anti")
+    repeated = named.where("__first").select("__id", "__th")
+    if repeated.limit(1).count():  # repeated rows
+        once = _rows_of(kept, repeated, "inner").dropDuplicates(["__id", "__th"]).select(*kept.columns)
+        kept = _rows_of(kept, repeated, "left_anti").unionByName(once)
+    return kept.drop("__xx")
