@@ -14,6 +14,8 @@ from .common import written
 
 #: Positions a seed looks at; all masks begin with two adjacent words, which are looked up first.
 MASKS = ((0, 1, 3, 5, 6, 8), (0, 1, 2, 5, 7, 9), (0, 1, 4, 6, 9, 10), (0, 1, 3, 4, 8, 10))
+#: With these no two substituted words escape in items of 11 or 12 words, which have few shifts; longer ones do not need them.
+MORE = ((0, 1, 2, 3, 4, 6), (0, 1, 2, 4, 5, 6))
 SPAN = 11
 SHORTEST = 5
 #: Test sets of up to so many seeds are broadcast (below 64 MB); larger ones are joined by shuffle.
@@ -43,16 +45,17 @@ def contaminated(docs: DataFrame, tests: DataFrame, overlap: int = 13, similarit
     A document (doc_id, text) holds a passage of an item (item_id, text) if, at some shift, ``overlap`` consecutive words (all words of
     a shorter item) agree in a share of ``similarity`` or more, around a seed. n_aligned and n_equal are of the best such shift:
     words of the item that lie on the document, and those that agree. Items of fewer than SHORTEST words are no evidence and are passed
-    over; items of fewer than SPAN words must occur word for word. Null and empty texts hold nothing. Repeated rows count once: rows
+    over (also a text in a script without spaces, which is one word); items of fewer than SPAN words must occur word for word. Null and empty texts hold nothing. Repeated rows count once: rows
     that agree in doc_id and item_id come together. Null ids are ids like others. Empty tables give no rows.
     """
     items = written(
         tests.select(F.col("item_id"), F.xxhash64("item_id", "text").alias("item"), hashed_words(F.col("text")).alias("h")).where(F.size("h") >= SHORTEST).dropDuplicates(["item_id", "item"]), "items"
     )
-    short = sorted(r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect())  # at most SPAN - SHORTEST numbers
-    masks = [*enumerate(MASKS), *((100 + n, tuple(range(n))) for n in short)]
+    short = sorted(r[0] for r in items.where(F.size("h") < SPAN + 2).select(F.size("h")).distinct().collect())  # at most SPAN + 2 - SHORTEST numbers
+    more = [(50 + k, m) for k, m in enumerate(MORE)] if any(n >= SPAN for n in short) else []
+    masks = [*enumerate(MASKS), *more, *((100 + n, tuple(range(n))) for n in short if n < SPAN)]
     places = _places(items, ["item", F.size("h").alias("n")])
-    seeds = [F.when((F.col("n") >= SPAN) if k < 100 else (F.col("n") == k - 100) & (F.col("at") == 0), _seed(k, m)) for k, m in masks]
+    seeds = [F.when(F.col("n").between(SPAN, SPAN + 1) if 50 <= k < 100 else F.col("n") >= SPAN if k < 50 else (F.col("n") == k - 100) & (F.col("at") == 0), _seed(k, m)) for k, m in masks]
     seeds = places.select("item", F.col("at").alias("j"), F.xxhash64("w0", "w1").alias("two"), F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
     seeds = written(seeds, "seeds")
     small = seeds.count() <= SMALL_SEEDS

@@ -405,3 +405,13 @@ def test_large_test_sets_are_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SMALL_SEEDS", 0)
     got = decontam.found_passages(docs, spark.createDataFrame(tests, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i) for i, _ in tests}
+
+
+def test_two_substituted_words_never_hide_an_item_of_11_or_12(spark):
+    tests, docs = [], []
+    for n in (11, 12):
+        words = [f"w{n}x{i}" for i in range(n)]
+        tests.append((n, " ".join(words)))
+        docs += [(n * 1000 + a * 20 + b, " ".join("other" if i in (a, b) else w for i, w in enumerate(words))) for a in range(n) for b in range(a)]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {d for d, _ in docs}
