@@ -6,10 +6,12 @@ characters, which is why the operators work on UTF-8 bytes wherever they can.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,23 +22,73 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows of a table that go through Python at once are cut so that a batch holds at most about so many bytes of text.
 BATCH_BYTES = 8 << 20
+#: Tables of up to so many short rows (some 20 MB) are broadcast; into how many tasks a hot key is dealt beyond that.
+SMALL_SIDE, SALTS = 200_000, 16
+
+
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; one of our own only where that is unset (local runs)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset, a local master gets a folder of its own, others an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sparkrx-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="sparkrx-")
+    return _own[app]
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which Hadoop deletes when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df``, written to the shared folder and read back: lineage ends here and Spark knows its true size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes a table of ``written`` that nothing reads any more, as those of earlier rounds of a loop."""
+    path = getattr(df, "written_at", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def packed(df: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` beside a struct ``__row`` of all that ``df`` has: no name of its columns can clash with an inner one. ``unpacked`` undoes it."""
+    return df.select(F.struct("*").alias("__row"), *columns)
+
+
+def unpacked(df: DataFrame, *columns: Column) -> DataFrame:
+    return df.select("__row.*", *columns)
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], by: Column, how: str = "left") -> DataFrame:
+    """``big`` joined to ``small`` on null-safe pairs of columns, some of which many rows of ``big`` may share.
+
+    A small side of at most SMALL_SIDE rows is broadcast. Beyond that each of its rows is repeated SALTS times and the rows of ``big`` are
+    dealt by ``by``, so that a key that a third of them holds lands in SALTS tasks.
+    """
+    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in on])
+    if small.count() <= SMALL_SIDE:
+        return big.join(F.broadcast(small), same, how)
+    small = small.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    big = big.withColumn("__salt1", F.pmod(F.xxhash64(F.lit(29), by), F.lit(SALTS)).cast("int"))
+    return big.join(small, same & (F.col("__salt1") == F.col("__salt2")), how).drop("__salt1", "__salt2")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +139,16 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[str], weight: str, out: str, label: str) -> DataFrame:
-    """Adds ``out``: the exclusive prefix sum of the long column ``weight`` within ``keys`` in the order ``order``.
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+
+
+def has_letter(raw: bytes) -> bool:
+    """Whether the text has a character of a letter category."""
+    return bool(_ASCII_LETTER.search(raw)) or not raw.isascii() and any(map(str.isalpha, raw.decode("utf-8", "replace")))
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], label: str) -> DataFrame:
+    """Adds, for each long column and name in ``sums``, the exclusive prefix sum of the column within ``keys`` in the order ``order``.
 
     No group is gathered in one task: rows are range-partitioned by keys and order, each partition is summed by key, the few sums
     are accumulated, and each partition's rows then add their own offsets. Integer sums make the outcome independent of the cut.
@@ -96,13 +156,15 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], weight: str, o
     """
     dealt = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
     dealt = written(dealt.withColumn("__pid", F.spark_partition_id()), label)
-    sums = dealt.groupBy("__pid", *keys).agg(F.sum(weight).alias("__sum"))
+    parts = dealt.groupBy("__pid", *keys).agg(*[F.sum(w).alias(f"__sum{i}") for i, w in enumerate(sums)])
     before = W.partitionBy(*keys).orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("__base", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-    sums = sums.select(F.col("__pid").alias("__p2"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__base")
+    parts = parts.select(
+        F.col("__pid").alias("__p2"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.coalesce(F.sum(f"__sum{i}").over(before), F.lit(0)).alias(f"__base{i}") for i in range(len(sums))]
+    )
     same = F.col("__pid") == F.col("__p2")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     own = W.partitionBy("__pid", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    dealt = dealt.withColumn("__own", F.coalesce(F.sum(weight).over(own), F.lit(0)))
-    return dealt.join(sums, same, "left").withColumn(out, F.col("__own") + F.col("__base")).drop("__pid", "__p2", "__own", "__base", "__sum", *[f"__k{i}" for i in range(len(keys))])
+    dealt = dealt.select("*", *[F.coalesce(F.sum(w).over(own), F.lit(0)).alias(f"__own{i}") for i, w in enumerate(sums)])
+    out = dealt.join(parts, same, "left").withColumns({name: F.col(f"__own{i}") + F.col(f"__base{i}") for i, name in enumerate(sums.values())})
+    return out.select(*df.columns, *sums.values())

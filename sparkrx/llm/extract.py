@@ -1,10 +1,10 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages of a host are sorted by URL path and neighbours are paired. The lines of the two pages are aligned by their longest common
-subsequence and shared lines are deleted: what a site repeats from page to page is not an article. Differencing alone cannot give right
-results on two kinds of line, so marked-up structure settles those first: lines within a page's article (or main) element are its text
-even if another page has them too, and lines within menus, headers, footers, sidebars, adverts, forms and comments are not, even if
-every page words them differently. On pages that mark no article, all other lines are decided by differencing.
+subsequence and shared lines are deleted: what a site repeats from page to page is not its text. This decides every line of every page
+that has a neighbour. Differencing alone cannot give right results on two kinds of line, so marked-up structure overrules it there:
+shared lines within a page's article (or main) element stay, since articles may share a line or be quoted whole; and lines that no other
+page has go if they lie within menus, headers, footers, sidebars, adverts, forms or comments, which a page may word for itself.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, sliced, texts, written
+from .common import prefix_sums, sliced, spread_join, texts, written
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>?", re.S)
 # fixed values: elements by what they mean for a page's text
@@ -37,8 +38,11 @@ MARKED = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: Of the article; undecided; not of the article by tag; not of the article by class, id or role, unless an article begins within.
-KEEP, OPEN, DROP, WEAK = 1, 0, -1, -2
+#: Of the article; undecided; not of the article by tag; not of the article by class, id or role, unless an article begins within; an
+#: element within a line that is not of the article, whose text is no part of the line.
+KEEP, OPEN, DROP, WEAK, MUTE = 1, 0, -1, -2, -3
+#: A longest common subsequence is found in one go where its rows take at most so many bits.
+TABLE_BITS = 1 << 23
 
 
 def _boilerplate(tag: str, attributes: str, inside: bool) -> int:
@@ -63,7 +67,7 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> int:
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
-    """(text, KEEP | OPEN) of each block of a page that structure does not drop, in order.
+    """(text, KEEP | OPEN | DROP | WEAK) of each block of a page, in order: what differencing sees, and what structure says of it.
 
     White space is one space, references are decoded, a line break is white space. Unclosed elements, stray end tags, broken references
     and unclosed comments are taken roughly as browsers take them.
@@ -71,12 +75,12 @@ def blocks(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements, each with what it makes of its text
-    at, end, low, state = 0, len(page), None, OPEN
+    at, end, low, state, begun = 0, len(page), None, OPEN, OPEN
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(parts)).split())
         if line:
-            out.append((line, state))
+            out.append((line, begun))
         parts.clear()
 
     def cut(depth: int) -> None:
@@ -90,7 +94,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
     while at < end:
         m = TOKEN.search(page, at)
         stop = m.start() if m else end
-        if stop > at and state >= 0:
+        if stop > at and state != MUTE and (parts or not page[at:stop].isspace()):
+            if not parts:
+                begun = state
             parts.append(page[at:stop])
         if not m:
             break
@@ -113,9 +119,11 @@ def blocks(page: str) -> list[tuple[str, int]]:
             else:
                 close = page.find(">", close) if close >= 0 else -1
                 at = close + 1 if close >= 0 else end
-            parts.append(" ")
+            if parts:
+                parts.append(" ")
         elif tag in VOID:
-            parts.append(" " if tag in ("br", "img", "hr") else "")
+            if parts and tag in ("br", "img", "hr"):
+                parts.append(" ")
             if tag == "hr":
                 flush()
         else:
@@ -134,6 +142,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 now = bad
             elif tag in MAIN and now in (OPEN, WEAK):
                 now = KEEP
+            if now in (DROP, WEAK) and (state == MUTE or state >= OPEN and tag not in BLOCK):
+                now = MUTE
             stack.append((tag, now))
             state = now
     flush()
@@ -143,8 +153,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
 def common_lines(a: list[int], b: list[int]) -> set[int]:
     """Positions of ``a`` on a longest common subsequence of two lists of line hashes.
 
-    Equal beginnings and ends are stripped and lines the other page lacks are left out; what remains is aligned by the classical
-    recurrence, in which rows are integers of bits, so that long pages stay cheap.
+    Equal beginnings and ends are stripped and lines the other page lacks are left out. What remains is aligned by the classical
+    recurrence, whose rows are integers of bits; where all rows together would be large, the lists are halved (Hirschberg), so that
+    memory grows in proportion to the pages.
     """
     found: set[int] = set()
     i = 0
@@ -159,23 +170,69 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     left = [k for k in range(i, ea) if a[k] in other]
     mine = {a[k] for k in left}
     right = [x for x in b[i:eb] if x in mine]
-    if not left or not right:
-        return found
-    places: dict[int, int] = {}
-    for j, x in enumerate(right):
-        places[x] = places.get(x, 0) | 1 << j
-    full = (1 << len(right)) - 1
-    row, rows = full, [full]
-    for k in left:  # a zero bit at j: the subsequence grows at right[j]
-        u = row & places[a[k]]
-        row = (row + u | row - u) & full
-        rows.append(row)
-    j = len(right)
-    for n in range(len(left), 0, -1):
+    todo = [(left, right)]
+    while todo:
+        left, right = todo.pop()
+        if not left or not right:
+            continue
+        if len(left) == 1:
+            found.update(left if a[left[0]] in right else ())
+        elif len(left) * len(right) <= TABLE_BITS:
+            found |= _aligned(a, left, right)
+        else:
+            mid = len(left) // 2
+            head = _lengths([a[k] for k in left[:mid]], right)
+            tail = _lengths([a[k] for k in left[:mid - 1:-1]], right[::-1])
+            cut = int((head + tail[::-1]).argmax())
+            todo += [(left[:mid], right[:cut]), (left[mid:], right[cut:])]
+    return found
+
+
+class _Rows:
+    """Rows of the recurrence over ``right``: a zero bit at j says that the subsequence grows at right[j]."""
+
+    def __init__(self, right: list[int]):
+        self.full, self.kept = (1 << len(right)) - 1, {}
+        self.at: dict[int, list[int]] = {}
+        for j, x in enumerate(right):
+            self.at.setdefault(x, []).append(j)
+
+    def places(self, line: int) -> int:
+        at = self.at.get(line, ())
+        if len(at) < 8:
+            return sum(1 << j for j in at)
+        if line not in self.kept:  # at most one in eight lines
+            bits = np.zeros(self.full.bit_length(), np.uint8)
+            bits[at] = 1
+            self.kept[line] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        return self.kept[line]
+
+    def after(self, row: int, line: int) -> int:
+        u = row & self.places(line)
+        return (row + u | row - u) & self.full
+
 
-        def length(r: int, upto: int) -> int:
-            return upto - (r & (1 << upto) - 1).bit_count()
+def _lengths(lines: list[int], right: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``lines`` and right[:j], for each j from 0."""
+    rows = _Rows(right)
+    row = rows.full
+    for x in lines:
+        row = rows.after(row, x)
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(right) // 8), "little"), np.uint8), bitorder="little")[: len(right)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
+
+def _aligned(a: list[int], left: list[int], right: list[int]) -> set[int]:
+    table = _Rows(right)
+    rows = [table.full]
+    for k in left:
+        rows.append(table.after(rows[-1], a[k]))
+    found, j = set(), len(right)
+
+    def length(r: int, upto: int) -> int:
+        return upto - (r & (1 << upto) - 1).bit_count()
+
+    for n in range(len(left), 0, -1):
         if j and length(rows[n], j) > length(rows[n - 1], j):
             while length(rows[n], j - 1) == length(rows[n], j):
                 j -= 1
@@ -188,59 +245,66 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line, 3) - (1 << 63)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
+def differenced(pages: DataFrame) -> DataFrame:
+    """page_id, url, __lines (struct of text and state) and __shared (whether each line is shared; null without a neighbour) of every page.
 
-    A null or empty page has the empty text. Hosts and paths are read from the url; pages without one form a host of their own. The last
-    page of a host of odd size is compared with the one before it; a host's only page is compared with none, and its undecided lines
-    stay. Repeated rows (equal page_id, url and html) get equal texts. Whole pages are read. An empty table gives no rows.
+    Pages of a host with equal lines are one page when neighbours are paired, so a copy is compared with the nearest page that differs.
     """
-    rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
-    key = F.xxhash64("page_id", "url", "html")
-    base = pages.select(F.col("page_id"), F.col("url"), F.col("html"), key.alias("__key"))
+    schema = "page_id {}, url string, __lines array<struct<line:string,state:tinyint>>, __hashes array<long>, __list long".format(pages.schema["page_id"].dataType.simpleString())
 
-    def lines(batches):
+    def parse(batches):
         for b in sliced(batches, "html"):
             rows = [blocks(t.decode("utf-8", "replace")) for t in texts(b, "html")]
-            # a page that marks its article is decided; it still serves as a neighbour, by all its lines
-            undecided = [not any(s == KEEP for _, s in r) for r in rows]
-            cells = [[line_hash(t) for t, _ in r] for r in rows]
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            lines = pa.array([t for r in rows for t, _ in r], pa.string())
+            cells = pa.StructArray.from_arrays([lines, pa.array([s for r in rows for _, s in r], pa.int8())], ["line", "state"])
+            hashes = [[line_hash(t) for t, _ in r] for r in rows]
+            whole = [xxhash.xxh64_intdigest(np.array(h, np.int64).tobytes(), 5) - (1 << 63) for h in hashes]
             yield pa.RecordBatch.from_arrays(
-                [b.column("__key"), b.column("__host"), b.column("__path"), pa.array(cells, pa.list_(pa.int64())), pa.array(undecided)], names=["__key", "__host", "__path", "__lines", "__undecided"]
+                [b.column("page_id"), b.column("url"), pa.ListArray.from_arrays(ends, cells), pa.array(hashes, pa.list_(pa.int64())), pa.array(whole, pa.int64())], names=["page_id", "url", "__lines", "__hashes", "__list"]
             )
 
-    located = base.withColumn("__host", F.lower(F.regexp_extract(rest, "^[^/?#]*", 0))).withColumn("__path", F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1))
-    listed = located.mapInArrow(lines, "__key long, __host string, __path string, __lines array<long>, __undecided boolean").withColumn("__one", F.lit(1).cast("long"))
-    ranked = written(prefix_sums(listed, ["__host"], ["__path", "__key"], "__one", "__rank", "page-order"), "page-ranks")
+    rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
+    parsed = pages.select("page_id", "url", "html").mapInArrow(parse, schema)
+    host, path = F.coalesce(F.lower(F.regexp_extract(rest, "^[^/?#]*", 0)), F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
+    parsed = written(parsed.withColumn("__host", host).withColumn("__path", path), "page-lines")
+    lists = parsed.groupBy("__host", "__list").agg(F.min("__path").alias("__path"), F.first("__hashes").alias("__hashes")).withColumn("__one", F.lit(1).cast("long"))
+    ranked = written(prefix_sums(lists, ["__host"], ["__path", "__list"], {"__one": "__rank"}, "page-order"), "page-ranks")
     hosts = ranked.groupBy(F.col("__host").alias("__h")).agg(F.count("*").alias("__n"))
-    ranked = ranked.join(hosts, F.col("__host").eqNullSafe(F.col("__h")))
+    ranked = spread_join(ranked, hosts, [("__host", "__h")], F.col("__list"), "inner")
     # pairs (0, 1), (2, 3), ...; an odd page at the end joins the pair before it
     pair = F.least(F.floor(F.col("__rank") / 2), F.greatest(F.floor(F.col("__n") / 2) - 1, F.lit(0)))
     near = W.partitionBy("__host", pair).orderBy("__rank")
-    paired = ranked.withColumn("__other", F.coalesce(F.lag("__lines").over(near), F.lead("__lines").over(near)))
+    paired = ranked.withColumn("__other", F.coalesce(F.lag("__hashes").over(near), F.lead("__hashes").over(near))).where("__other is not null")
 
     def shared(batches):
         for b in batches:
-            keep = [i for i, u in enumerate(b.column("__undecided").to_pylist()) if u]
-            b = b.take(pa.array(keep, pa.int32()))
-            pairs = zip(b.column("__lines").to_pylist(), b.column("__other").to_pylist())
-            cells = [sorted(common_lines(x, y)) if y else [] for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([b.column("__key"), pa.array(cells, pa.list_(pa.int32()))], names=["__k", "__shared"])
+            pairs = zip(b.column("__hashes").to_pylist(), b.column("__other").to_pylist())
+            cells = []
+            for x, y in pairs:
+                on = np.zeros(len(x), bool)
+                on[list(common_lines(x, y))] = True
+                cells.append(on)
+            yield pa.RecordBatch.from_arrays([b.column("__host"), b.column("__list"), pa.array(cells, pa.list_(pa.bool_()))], names=["__h", "__l", "__shared"])
 
-    drops = paired.select("__key", "__lines", "__other", "__undecided").mapInArrow(shared, "__k long, __shared array<int>")
-    drops = written(drops.where(F.size("__shared") > 0).dropDuplicates(["__k"]), "shared-lines")
-    rows = base.join(drops, F.col("__key") == F.col("__k"), "left")
+    drops = written(paired.select("__host", "__list", "__hashes", "__other").mapInArrow(shared, "__h string, __l long, __shared array<boolean>"), "shared-lines")
+    rows = spread_join(parsed.select("page_id", "url", "__lines", "__host", "__list"), drops, [("__host", "__h"), ("__list", "__l")], F.col("page_id"))
+    return rows.select("page_id", "url", "__lines", "__shared")
 
-    def assemble(batches):
-        for b in sliced(batches, "html"):
-            out = []
-            for t, drop in zip(texts(b, "html"), b.column("__shared").to_pylist()):
-                found, drop = blocks(t.decode("utf-8", "replace")), set(drop or ())
-                kept = [line for line, s in found if s == KEEP]
-                if not kept:  # no article is marked: the lines that the neighbour lacks
-                    kept = [line for i, (line, _) in enumerate(found) if i not in drop]
-                out.append("\n".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "__shared").mapInArrow(assemble, f"page_id {kind}, url string, text string, n_chars long")
+
+def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars, n_lines, n_overruled for every row of ``pages`` (page_id, url, html).
+
+    n_lines are the page's lines, n_overruled those in which structure overruled differencing. A null or empty page has the empty text.
+    Hosts and paths are read from the url; pages without one form a host of their own. The last page of a host of odd size is compared
+    with the one before it. A host's only page is compared with none: all its lines count as its own. Without ``differencing`` no line
+    is shared. Repeated rows get equal texts. Whole pages are read. An empty table gives no rows.
+    """
+    rows = differenced(pages)
+    state = F.transform("__lines", lambda x, i: F.struct(x["line"].alias("line"), x["state"].alias("state"), (F.coalesce(F.get("__shared", i), F.lit(False)) & F.lit(differencing)).alias("shared")))
+    rows = rows.select("page_id", "url", state.alias("__lines"))
+    stays = F.filter("__lines", lambda x: (x["state"] == KEEP) | (x["state"] == OPEN) & ~x["shared"])
+    over = F.filter("__lines", lambda x: (x["state"] == KEEP) & x["shared"] | (x["state"] < OPEN) & ~x["shared"])
+    text = F.array_join(F.transform(stays, lambda x: x["line"]), "\n")
+    rows = rows.select("page_id", "url", text.alias("text"), F.size("__lines").alias("n_lines"), F.size(over).alias("n_overruled"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_overruled")

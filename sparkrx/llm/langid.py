@@ -7,21 +7,18 @@ time over a bounded sample of labelled documents.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out_col, sliced, spread, texts
+from .common import has_letter, held_out_col, sliced, spread, texts
 
 WINDOW = 64
 HIDDEN = 8
 #: Gates are piecewise linear sigmoids of this slope.
 SLOPE = 0.2
-LETTER = re.compile(r"[^\W\d_]")
 #: The model is fit on at most so many documents of each language and so many windows of each document.
 TRAIN_DOCS, TRAIN_WINDOWS = 300, 6
 
@@ -182,7 +179,7 @@ def judge(model: ByteTagger | None, batch: list[bytes]) -> tuple[list[str], list
         return ["und"] * len(batch), [0.0] * len(batch)
     p = model.pooled(batch)
     best = p.argmax(axis=1)
-    known = [bool(LETTER.search(t.decode("utf-8", "replace"))) for t in batch]
+    known = [has_letter(t) for t in batch]
     return [model.labels[k] if ok else "und" for k, ok in zip(best, known)], [min(1.0, max(0.0, float(p[i, k]))) if ok else 0.0 for i, (k, ok) in enumerate(zip(best, known))]
 
 

@@ -6,7 +6,6 @@ the first rule that rejects it. The verdict is the same in any order, so measure
 
 from __future__ import annotations
 
-import re
 import time
 from collections import Counter
 from collections.abc import Callable
@@ -15,12 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, spread, texts
+from .common import has_letter, sliced, spread, texts
 
 SYMBOLS = b"#*$%&|<>"
 #: About so many documents, chosen by a hash of their ids, measure the rules.
 SAMPLE = 2000
-LETTER = re.compile(r"[^\W\d_]")
 BULLETS = (b"-", b"*", b"\xe2\x80\xa2", b"\xe2\x80\xa3")
 ELLIPSES = (b"...", b"\xe2\x80\xa6")
 
@@ -56,7 +54,7 @@ class Text:
 
 def few_letters(t: Text) -> bool:
     kinds = Counter(t.words)
-    return sum(n for w, n in kinds.items() if LETTER.search(w.decode("utf-8", "replace"))) * 10 < 7 * t.n
+    return sum(n for w, n in kinds.items() if has_letter(w)) * 10 < 7 * t.n
 
 
 #: name: whether the rule rejects a text of at least one word

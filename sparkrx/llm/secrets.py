@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, texts, written
+from .common import sliced, spread_join, texts, written
 
 # fixed values: the kinds in the order in which they are listed, patterns with the versions by which the ledger knows them
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -61,25 +61,57 @@ def findings(raw: bytes, kinds: set[str] | None = None) -> list[tuple[int, int,
 LEDGER = "blob string, done array<string>, found array<struct<start:int,kind:int,end:int>>"
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, versions: dict[str, str] = VERSIONS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, blob, found) for every row of ``docs`` (doc_id, text), and the new rows of the ledger.
+class Ledger:
+    """A ledger in a folder that all executors share: each scan adds files, none is written again.
 
-    A null text is the empty blob. Rows with equal texts share a blob, which is scanned once; repeated rows come back as often as they
-    came. The ledger may hold several rows of a blob, of different rules or versions; findings of versions not asked for are left out.
-    Null ids are kept. An empty table gives no rows and adds nothing to the ledger.
+    A row says that the rules ``done`` (by version) have read ``blob`` and what they found. Files of a scan that failed half-way are not
+    seen, as Spark commits a write as a whole; a scan that is run twice adds pairs twice, which readers merge.
     """
-    spark = docs.sparkSession
-    blob = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    paths = written(docs.select("doc_id", blob.alias("blob")), "paths")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(self.path)
+
+    def add(self, fresh: DataFrame) -> None:
+        fresh.write.mode("append").parquet(self.path)
+
+    def scan(self, docs: DataFrame, versions: dict[str, str] = VERSIONS) -> DataFrame:
+        """``paths_with_findings`` of ``docs`` after the pairs that the ledger lacks were scanned and added to it."""
+        paths = paths_of(docs)
+        self.add(unseen(docs, paths, self.rows(), versions))
+        return paths_with_findings(paths, self.rows(), versions)
+
+
+def blob_of(text):
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def paths_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, blob) of every row: the paths by which blobs are known."""
+    return written(docs.select("doc_id", blob_of(F.col("text")).alias("blob")), "paths")
+
+
+def unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame, versions: dict[str, str] = VERSIONS) -> DataFrame:
+    """Ledger rows of the (blob, rule version) pairs of ``docs`` that ``ledger`` lacks; each blob is scanned once."""
     wanted = F.array(*[F.lit(versions[k]) for k in KINDS if k in versions])
-    todo = paths.groupBy("blob").agg(F.min("doc_id").alias("__first")).withColumn("__lacks", wanted)
-    if ledger is not None:
-        done = ledger.groupBy(F.col("blob").alias("__b")).agg(F.array_distinct(F.flatten(F.collect_list("done"))).alias("__done"))
-        todo = todo.join(done, F.col("blob") == F.col("__b"), "left").withColumn("__lacks", F.array_except("__lacks", F.coalesce("__done", F.array().cast("array<string>"))))
-    todo = written(todo.where(F.size("__lacks") > 0).select(F.col("blob").alias("__blob"), "__first", "__lacks"), "unseen")
-    rows = docs.select(F.col("doc_id"), F.col("text"), blob.alias("blob"))
-    # one row holds each unseen blob; the small side is hashed, texts are not sorted
+    # the row with the smallest id holds the blob; a count says whether that row is repeated
+    held = paths.groupBy("blob", "doc_id").agg(F.count("*").alias("n")).groupBy("blob").agg(F.min(F.struct("doc_id", "n")).alias("low"))
+    done = ledger.groupBy(F.col("blob").alias("__b")).agg(F.array_distinct(F.flatten(F.collect_list("done"))).alias("__done"))
+    todo = held.join(done, F.col("blob") == F.col("__b"), "left").select(
+        F.col("blob").alias("__blob"), F.col("low.doc_id").alias("__first"), F.col("low.n").alias("__n"), F.array_except(wanted, F.coalesce("__done", F.array().cast("array<string>"))).alias("__lacks")
+    )
+    todo = written(todo.where(F.size("__lacks") > 0), "unseen")
+    rows = docs.select("doc_id", "text", blob_of(F.col("text")).alias("blob"))
+    # the small side is hashed, texts are not sorted
     rows = rows.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("__blob")) & F.col("doc_id").eqNullSafe(F.col("__first")))
+    if todo.where("__n > 1").limit(1).count():  # rows that repeat both id and text
+        rows = rows.where("__n = 1").unionByName(rows.where("__n > 1").dropDuplicates(["blob"]))
     by_version = {v: k for k, v in versions.items()}
 
     def run(batches):
@@ -90,18 +122,32 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, versions: dict[str, s
             cells = pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in found], kind)
             yield pa.RecordBatch.from_arrays([b.column("blob"), pa.array(lacks, pa.list_(pa.string())), cells], names=["blob", "done", "found"])
 
-    fresh = written(rows.select("blob", "text", "__lacks").mapInArrow(run, LEDGER), "ledger")
-    fresh = fresh.dropDuplicates(["blob"])  # rows that repeat both id and text were scanned together
-    everything = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "done", "found"))
-    valid = [i for i, k in enumerate(KINDS) if k in versions]
-    current = everything.where(F.arrays_overlap("done", wanted)) if ledger is not None else everything
-    known = current.where(F.size("found") > 0).select("blob", F.explode("found").alias("f"), "done")
+    return rows.select("blob", "text", "__lacks").mapInArrow(run, LEDGER)
+
+
+def paths_with_findings(paths: DataFrame, ledger: DataFrame, versions: dict[str, str] = VERSIONS) -> DataFrame:
+    """(doc_id, blob, found): every path with all that the rules, at these versions, have found in its blob."""
+    known = ledger.where(F.size("found") > 0).select("blob", F.explode("found").alias("f"), "done")
     label = F.get(F.array(*[F.lit(versions.get(k, "")) for k in KINDS]), F.col("f.kind"))
-    known = known.where(F.col("f.kind").isin(valid) & F.array_contains("done", label))
+    known = known.where(F.array_contains("done", label))
     known = written(known.groupBy(F.col("blob").alias("__b")).agg(F.array_sort(F.collect_set("f")).alias("__f")), "findings")
-    out = paths.join(known, F.col("blob") == F.col("__b"), "left")
+    out = spread_join(paths, known, [("blob", "__b")], F.col("doc_id"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return out.select("doc_id", "blob", F.coalesce("__f", empty).alias("found")), fresh
+    return out.select("doc_id", "blob", F.coalesce("__f", empty).alias("found"))
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, versions: dict[str, str] = VERSIONS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, blob, found) for every row of ``docs`` (doc_id, text), and the new rows of the ledger.
+
+    A null text is the empty blob. Rows with equal texts share a blob, which is scanned once; repeated rows come back as often as they
+    came. The ledger may hold several rows of a blob, of different rules or versions; findings of versions not asked for are left out.
+    Null ids are kept. An empty table gives no rows and adds nothing to the ledger. Further columns are not read.
+    """
+    spark = docs.sparkSession
+    old = ledger.select("blob", "done", "found") if ledger is not None else spark.createDataFrame([], LEDGER)
+    paths = paths_of(docs)
+    fresh = written(unseen(docs, paths, old, versions), "ledger")
+    return paths_with_findings(paths, old.unionByName(fresh), versions), fresh
 
 
 def as_text(found):

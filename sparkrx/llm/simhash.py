@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, text_map, texts, written
+from .common import discard, packed, sliced, text_map, texts, unpacked, written
 from .xxh import xxh64_slices
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, which generates the Golay code
@@ -252,17 +252,20 @@ def components(links: DataFrame) -> DataFrame:
     of one node are never gathered: its smallest neighbour is a combined minimum that is joined back.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
+    before, first = None, True
     while True:
         # large-star: each node hands its smallest neighbour (itself included) to its larger neighbours
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        edges = written(both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        large = written(both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        if not first:
+            discard(edges)
         # small-star: each node joins its smaller neighbours to the smallest of them
-        low = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        joined = edges.join(low, F.col("u") == F.col("w"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        joined = large.join(low, F.col("u") == F.col("w"))
         moved = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(low.select(F.col("w").alias("u"), F.col("m").alias("v")).union(moved).distinct(), "small-star")
+        edges, first = written(low.select(F.col("w").alias("u"), F.col("m").alias("v")).union(moved).distinct(), "small-star"), False
+        discard(large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -297,10 +300,11 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     found = near_duplicates(docs, shingle)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("__best.id")) & (F.col("text_hash") == F.col("__best.th")))
     stay = written(stay.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).agg(F.count("*").alias("__n")), "stay")
-    rows = docs.withColumn("__xx", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__xx") == F.col("__th")))
+    rows = packed(docs, F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__xx"))
+    rows = rows.join(_listed(stay), F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__xx") == F.col("__th")))
     if stay.where("__n > 1").limit(1).count():  # repeated rows
-        rows = rows.dropDuplicates(["__id", "__th"])
-    return rows.drop("__xx", "__id", "__th", "__n")
+        rows = rows.where("__n = 1").unionByName(rows.where("__n > 1").dropDuplicates(["__id", "__th"]))
+    return unpacked(rows)
 
 
 def shingle_sets(batch: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -371,8 +375,8 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 
 def _rows_of(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
-    """``docs`` (with the hash ``__xx`` of the text) joined to a list of rows (__id, __th)."""
-    return docs.join(_listed(listed), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__xx") == F.col("__th")), how)
+    """``docs`` (with their id ``__d`` and the hash ``__xx`` of their text) joined to a list of rows (__id, __th)."""
+    return docs.join(_listed(listed), F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__xx") == F.col("__th")), how)
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -417,7 +421,7 @@ def similar_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     found = found.join(total, F.col("root") == F.col("r")).withColumn("blocks", F.ceil(F.col("total") / BLOCK))
     found = found.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "set"), "blocks"))
     found = written(found.select(F.col("first.id").alias("__id"), F.col("first.th").alias("__th"), "set", "root", "blocks", "block"), "members")
-    near = _rows_of(rows.withColumnRenamed("text_hash", "__xx"), found, "inner")
+    near = _rows_of(rows.withColumnsRenamed({"doc_id": "__d", "text_hash": "__xx"}), found, "inner")
     # blocks (i, j), i <= j; where there is more than one, i < j is enough
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.col("block"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("block"))))
     near = near.select("root", "set", "block", other.alias("other"), "__text").select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "__text")
@@ -443,10 +447,10 @@ def without_similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     named = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).agg(F.count("*").alias("__n"), F.first("__best").alias("__best"))
     first = F.col("__id").eqNullSafe(F.col("__best.id")) & (F.col("__th") == F.col("__best.th"))
     named = written(named.select("__id", "__th", "__n", first.alias("__first")).where("not __first or __n > 1"), "surplus")
-    rows = docs.withColumn("__xx", F.xxhash64("text"))
+    rows = packed(docs, F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__xx"))
     kept = _rows_of(rows, named.where("not __first").select("__id", "__th"), "left_anti")
     repeated = named.where("__first").select("__id", "__th")
     if repeated.limit(1).count():  # repeated rows
         once = _rows_of(kept, repeated, "inner").dropDuplicates(["__id", "__th"]).select(*kept.columns)
         kept = _rows_of(kept, repeated, "left_anti").unionByName(once)
-    return kept.drop("__xx")
+    return unpacked(kept)

@@ -29,7 +29,7 @@ def bucket(word: bytes) -> int:
     if k is None:
         core = word.lower().strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
         k = 1 + xxhash.xxh64_intdigest(core, 7) % (BUCKETS - 1)
-        if len(_cache) < 1 << 18:  # bounded; a miss is only slower
+        if len(_cache) < 1 << 18 and len(word) <= 64:  # bounded; a miss is only slower
             _cache[word] = k
     return k
 
@@ -71,7 +71,6 @@ class TextCNN:
         sizes = np.array([len(d) + pad for d in docs])
         starts = np.cumsum(sizes) - sizes
         x = self.e[flat]
-        # longer windows than the texts end in the padding, never in the next text
         best, where = [], []
         for w, f, b in zip(WIDTHS, self.f, self.b):
             n = len(flat) - w + 1
@@ -80,9 +79,9 @@ class TextCNN:
                 y += x[i : i + n] @ f[i * DIM : (i + 1) * DIM]
             y += b
             np.maximum(y, 0, out=y)
-            if w < pad + 1:
-                y = np.concatenate([y, np.zeros((pad + 1 - w, FILTERS), np.float32)])
-            y = np.concatenate([y, np.zeros((len(flat) - len(y), FILTERS), np.float32)]) if len(y) < len(flat) else y[: len(flat)]
+            y = np.concatenate([y, np.zeros((w - 1, FILTERS), np.float32)])
+            for i in range(1, w):
+                y[starts + sizes - i] = 0  # windows that would reach into the next text
             best.append(np.maximum.reduceat(y, starts, axis=0))
             if docs and self.training:
                 where.append(np.stack([starts[k] + y[starts[k] : starts[k] + sizes[k]].argmax(axis=0) for k in range(len(docs))]))
@@ -91,14 +90,32 @@ class TextCNN:
     training = False
 
     def logits(self, docs: list[np.ndarray], words: int = 1 << 16) -> np.ndarray:
-        """Logits of whole texts, taken together up to about ``words`` words at a time."""
-        out, begin, n = [np.zeros(0, np.float32)], 0, 0
-        for i, d in enumerate(docs):
-            n += len(d)
-            if n >= words or i == len(docs) - 1:
-                out.append(self.pooled(docs[begin : i + 1])[0] @ self.o + self.c)
-                begin, n = i + 1, 0
-        return np.concatenate(out)
+        """Logits of whole texts, taken together up to about ``words`` words at a time; longer texts are read piece by piece."""
+        out, part, n = [np.zeros((0, len(self.o)), np.float32)], [], 0
+        for i, d in enumerate([*docs, None]):
+            if part and (d is None or n + len(d) > words):
+                out.append(self.pooled(part)[0])
+                part, n = [], 0
+            if d is not None and len(d) > words:
+                out.append(self.long(d, words))
+            elif d is not None:
+                part.append(d)
+                n += len(d)
+        return np.concatenate(out) @ self.o + self.c
+
+    def long(self, d: np.ndarray, words: int) -> np.ndarray:
+        """Maxima over one text, ``words`` windows at a time."""
+        d = np.concatenate([d, np.zeros(max(WIDTHS) - 1, np.int32)])
+        best = np.zeros((1, len(self.o)), np.float32)
+        for i in range(0, len(d), words):
+            x = self.e[d[i : i + words + max(WIDTHS) - 1]]
+            for k, (w, f, b) in enumerate(zip(WIDTHS, self.f, self.b)):
+                n = min(words, len(x) - w + 1)
+                if n > 0:
+                    y = sum(x[j : j + n] @ f[j * DIM : (j + 1) * DIM] for j in range(w)) + b
+                    cell = best[0, k * FILTERS : (k + 1) * FILTERS]
+                    np.maximum(cell, y.max(axis=0), out=cell)
+        return best
 
     def start(self, docs: list[np.ndarray], y: np.ndarray) -> None:
         """The first dimension of each word: its log-odds of being in a toxic document, shrunk where few documents have it."""
@@ -178,7 +195,7 @@ class TextCNN:
     def language(self, docs: list[np.ndarray]) -> list[int]:
         if not self.languages:
             return [0] * len(docs)
-        return [int(self.lang[:, d].sum(axis=1).argmax()) if len(d) else 0 for d in docs]
+        return [int(sum(self.lang[:, d[i : i + (1 << 16)]].sum(axis=1, dtype=np.float64) for i in range(0, len(d), 1 << 16)).argmax()) if len(d) else 0 for d in docs]
 
     def calibrate(self, docs: list[np.ndarray], y: np.ndarray) -> None:
         """For each language the logit that separates its labels with the fewest errors; languages with one label take the overall one."""
@@ -245,7 +262,7 @@ def with_scores(docs: DataFrame, model: TextCNN | None) -> DataFrame:
     A null or blank text is scored as the empty one. Whole texts are scored, however long. Without a model, as when nothing is labelled,
     every score is 0. Repeated rows get equal scores; ids may be null; an empty table gives no rows.
     """
-    holder = docs.sparkSession.sparkContext.broadcast(model)  # some 12 MB, whatever the corpus
+    holder = docs.sparkSession.sparkContext.broadcast(model)  # some 12 MB and one more for each language; neither grows with the documents
 
     def run(batches):
         model = holder.value

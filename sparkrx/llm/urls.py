@@ -1,26 +1,29 @@
 """URL filters: rules first, then a tree of path templates for each host.
 
-A path's segments are generalised (digits, long hexadecimal runs), a place in a host's tree with too many different segments becomes a
-wildcard, and sibling branches whose labels do not differ statistically are merged. A template is rejected if its smoothed share of
-blocked labels is high. Labels are urls that rules decide, unless others are given.
+A path's segments are generalised (digits, long hexadecimal runs), and the tree of each host is walked from the root down. A place with
+too many different segments becomes a wildcard. Elsewhere branches above and below their family's share of blocked labels are merged,
+each with its side, unless the labels are likelier under a rate of its own for the branch. Branches without labels stay apart. A
+template is rejected if its share of blocked labels, smoothed by its host's and that by the overall one, is high. Labels are urls that
+rules decide, unless others are given.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, spread_join, written
 
 #: (rule, verdict). A rule is a host and the beginning of a path; it fits the host and its subdomains.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Levels of the tree; what lies deeper is one segment. Different segments a place may have before it becomes a wildcard.
-DEPTH, FAN = 6, 32
-#: Labels that the overall rate counts as; smoothed purity from which a template is rejected; standard errors that separate branches.
-PRIOR, REJECT, APART = 4.0, 0.7, 2.0
+#: Different segments a place may have before it becomes a wildcard.
+FAN = 32
+#: Labels that the host's and the overall rate count as; smoothed purity from which a template is rejected.
+PRIOR, REJECT = 4.0, 0.7
 
 
 def host_of(url):
@@ -44,49 +47,70 @@ def rule_of(host, path, rules=RULES):
 
 
 def segments_of(path):
-    """Segments of a path with hexadecimal runs of 16 and more and runs of digits as placeholders; DEPTH of them at most, the rest joined."""
+    """Segments of a path with hexadecimal runs of 16 and more and runs of digits as placeholders."""
     plain = F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{16,}", "<hex>"), "[0-9]+", "<n>")
-    parts = F.split(F.regexp_replace(plain, "^/", ""), "/")
-    tail = F.array_join(F.slice(parts, DEPTH, F.greatest(F.size(parts), F.lit(1))), "/")
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(tail))).otherwise(parts)
+    return F.split(F.regexp_replace(plain, "^/", ""), "/")
+
+
+def log_factorial(n):
+    """ln n! by Gosper's formula, within 0.03."""
+    return F.when(n > 0, n * F.log(F.greatest(n, F.lit(1)).cast("double")) - n).otherwise(0.0) + 0.5 * F.log(2 * math.pi * (n + 1 / 6))
+
+
+def evidence(blocked, labelled):
+    """Log-likelihood of labels in their order under a rate of which nothing is known (the integral over all rates)."""
+    return log_factorial(blocked) + log_factorial(labelled - blocked) - log_factorial(labelled + 1)
+
+
+def _renamed(tree: DataFrame, d: int) -> DataFrame:
+    """(h, a, s, name) of the branches at level ``d`` that are generalised: host, segments above, segment, wildcard."""
+    branch = tree.where(F.size("segs") > d).groupBy("host", F.slice("segs", 1, d).alias("above"), F.get("segs", F.lit(d)).alias("seg"))
+    branch = written(branch.agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb")), f"url-branches-{d}")
+    family = branch.groupBy("host", "above").agg(F.count("*").alias("fan"), F.sum("bl").alias("fl"), F.sum("bb").alias("fb")).where("fan > 1")
+    family = family.select(F.col("host").alias("h"), F.col("above").alias("a"), "fan", "fl", "fb")
+    branch = spread_join(branch, written(family, f"url-families-{d}"), [("host", "h"), ("above", "a")], F.col("seg"), "inner").drop("h", "a")
+    variable = branch.where(F.col("fan") > FAN).select("host", "above", "seg", F.lit("*").alias("name"))
+    # of the others, those that labels put on one side of their family's rate: a window has at most FAN branches
+    known = branch.where((F.col("fan") <= FAN) & (F.col("bl") > 0)).withColumn("side", F.when(F.col("bb") * F.col("fl") > F.col("fb") * F.col("bl"), "+").otherwise("-"))
+    own = W.partitionBy("host", "above", "side")
+    known = known.withColumn("sl", F.sum("bl").over(own)).withColumn("sb", F.sum("bb").over(own))
+    rest_l, rest_b = F.col("sl") - F.col("bl"), F.col("sb") - F.col("bb")
+    alike = evidence(F.col("sb"), F.col("sl")) >= evidence(F.col("bb"), F.col("bl")) + evidence(rest_b, rest_l)
+    known = known.where((rest_l > 0) & alike).withColumn("several", F.count("*").over(own)).where("several > 1")
+    # the sides are told apart only where both are there
+    name = F.concat(F.lit("*"), F.when((F.col("sl") < F.col("fl")), F.col("side")).otherwise(F.lit("")))
+    out = variable.union(known.select("host", "above", "seg", name))
+    return out.select(F.col("host").alias("h"), F.col("above").alias("a"), F.col("seg").alias("s"), "name")
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """(host, leaf, template, n, labelled, blocked, smoothed) of each generalised path ``leaf`` of ``urls`` (host, path, label).
 
-    label: 1 blocked, 0 allowed, null unknown. Counts are those of the merged template.
+    label: 1 blocked, 0 allowed, null unknown. Counts are those of the merged template. The tree is walked from the root down, one round
+    for each level on which two paths of a host still share what is above them: deeper there is nothing to generalise.
     """
     tree = urls.groupBy("host", segments_of(F.col("path")).alias("leaf")).agg(
         F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked")
     )
-    tree = written(tree.withColumn("segs", F.col("leaf")), "url-tree")
-    depth = min(DEPTH, tree.agg(F.max(F.size("segs"))).first()[0] or 0)
-
-    def with_star(d):
-        return F.concat(F.slice("segs", 1, d), F.array(F.lit("*")), F.slice("segs", d + 2, DEPTH))
-
-    for d in range(depth):  # variable places become wildcards, from the root down
-        deep = tree.where(F.size("segs") > d)
-        fan = deep.select("host", F.slice("segs", 1, d).alias("above"), F.get("segs", F.lit(d)).alias("seg")).distinct()
-        fan = fan.groupBy(F.col("host").alias("__h"), F.col("above").alias("__a")).agg(F.count("*").alias("__fan")).where(F.col("__fan") > FAN)
-        tree = tree.join(fan, (F.col("host") == F.col("__h")) & (F.slice("segs", 1, d) == F.col("__a")), "left")
-        tree = tree.withColumn("segs", F.when(F.col("__fan").isNotNull() & (F.size("segs") > d), with_star(d)).otherwise(F.col("segs"))).drop("__h", "__a", "__fan")
-        tree = written(tree, f"url-fan-{d}")
-    for d in range(depth):  # branches that differ at one place only, and not in their labels, become one
-        branch = tree.groupBy("host", "segs").agg(F.sum("n").alias("bn"), F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb")).where(F.size("segs") > d)
-        family = W.partitionBy("host", with_star(d))
-        branch = branch.withColumn("fl", F.sum("bl").over(family)).withColumn("fb", F.sum("bb").over(family)).withColumn("fn", F.count("*").over(family))
-        p = (F.col("fb") + 0.5) / (F.col("fl") + 1)
-        alike = F.abs(F.col("bb") - F.col("bl") * p) <= APART * F.sqrt(F.col("bl") * p * (1 - p)) + 0.5
-        merged = branch.where((F.col("fn") > 1) & alike).select(F.col("host").alias("__h"), F.col("segs").alias("__s"), F.lit(True).alias("__merge"))
-        tree = tree.join(merged, (F.col("host") == F.col("__h")) & (F.col("segs") == F.col("__s")), "left")
-        tree = written(tree.withColumn("segs", F.when(F.col("__merge"), with_star(d)).otherwise(F.col("segs"))).drop("__h", "__s", "__merge"), f"url-tree-{d}")
+    tree, d = written(tree.withColumn("segs", F.col("leaf")), "url-tree"), 0
+    while tree.where(F.size("segs") > d).groupBy("host", F.slice("segs", 1, d)).agg((F.min("segs") < F.max("segs")).alias("several")).where("several").limit(1).count():
+        renamed = written(_renamed(tree, d), f"url-renamed-{d}")
+        keyed = tree.withColumn("above", F.slice("segs", 1, d)).withColumn("seg", F.get("segs", F.lit(d)))
+        keyed = spread_join(keyed, renamed, [("host", "h"), ("above", "a"), ("seg", "s")], F.col("leaf"))
+        starred = F.concat("above", F.array("name"), F.slice("segs", d + 2, F.size("segs")))
+        before, tree = tree, written(keyed.select("host", "leaf", "n", "labelled", "blocked", F.when(F.col("name").isNotNull(), starred).otherwise(F.col("segs")).alias("segs")), f"url-tree-{d}")
+        discard(before)
+        discard(renamed)
+        d += 1
     total = tree.groupBy("host", "segs").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    # a template's share is smoothed by its host's, and that by the share of all
     rate = tree.agg(F.sum("blocked"), F.sum("labelled")).first()
     prior = (rate[0] or 0) / rate[1] if rate[1] else 0.0
-    total = total.withColumn("smoothed", (F.col("blocked") + PRIOR * prior) / (F.col("labelled") + PRIOR))
-    own = tree.select(F.col("host").alias("__h"), F.col("segs").alias("__s"), "leaf")
-    out = own.join(total, (F.col("__h") == F.col("host")) & (F.col("__s") == F.col("segs")))
+    site = total.groupBy(F.col("host").alias("h")).agg(F.sum("blocked").alias("hb"), F.sum("labelled").alias("hl"))
+    site = written(site.select("h", ((F.col("hb") + PRIOR * prior) / (F.col("hl") + PRIOR)).alias("base")), "url-hosts")
+    total = spread_join(total, site, [("host", "h")], F.col("segs"), "inner").withColumn("smoothed", (F.col("blocked") + PRIOR * F.col("base")) / (F.col("labelled") + PRIOR))
+    total = written(total.select(F.col("host").alias("h"), F.col("segs").alias("s"), "n", "labelled", "blocked", "smoothed"), "url-totals")
+    out = spread_join(tree.select("host", "leaf", "segs"), total, [("host", "h"), ("segs", "s")], F.col("leaf"), "inner")
     return written(out.select("host", "leaf", F.concat(F.lit("/"), F.array_join("segs", "/")).alias("template"), "n", "labelled", "blocked", "smoothed"), "url-templates")
 
 
@@ -102,8 +126,8 @@ def judged(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Da
     rows = rows.select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"), segments_of(F.col("path")).alias("leaf"))
     known = labels if labels is not None else rows.select("host", "path", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0).alias("label"))
     if labels is not None:
-        known = known.unionByName(rows.select("host", "path", F.lit(None).cast("int").alias("label")))
+        known = known.select("host", "path", "label").unionByName(rows.select("host", "path", F.lit(None).cast("int").alias("label")))
     sheet = templates(known).select(F.col("host").alias("__h"), F.col("leaf").alias("__l"), "template", "smoothed")
-    out = rows.join(sheet, (F.col("host") == F.col("__h")) & (F.col("leaf") == F.col("__l")), "left")
+    out = spread_join(rows, sheet, [("host", "__h"), ("leaf", "__l")], F.col("page_id"))
     verdict = F.coalesce("ruled", F.when(F.col("smoothed") >= REJECT, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "smoothed")
