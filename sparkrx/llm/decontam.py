@@ -118,14 +118,18 @@ def contaminated(docs: DataFrame, tests: DataFrame, overlap: int = 13, similarit
     line = line.withColumn("low", F.greatest(F.lit(0), -F.col("shift"))).withColumn("high", F.least(F.size("b"), F.size("h") - F.col("shift")))
     line = line.withColumn("w", F.least(F.lit(overlap), F.size("b"))).withColumn("last", F.col("high") - F.col("low") - F.col("w")).where("last >= 0")
     line = line.where((F.size("b") >= SHORTEST) | (F.size("b") == F.size("h")))
-    line = line.withColumn("same", F.transform(F.sequence("low", F.col("high") - 1), lambda k: (F.get("h", k + F.col("shift")) == F.get("b", k)).cast("int")))
+    line = line.withColumn("same", F.transform(F.sequence("low", F.greatest("low", F.col("high") - 1)), lambda k: (F.get("h", k + F.col("shift")) == F.get("b", k)).cast("int")))
     need = F.ceil(F.lit(similarity) * F.col("w") - F.lit(1e-9))
 
     def total(cells):
         return F.aggregate(cells, F.lit(0), lambda a, x: a + x)
 
     # the windows of w words around each hit
-    around = F.exists("js", lambda j: F.exists(F.sequence(F.greatest(F.lit(0), j - F.col("low") - F.col("w") + 1), F.least(F.col("last"), j - F.col("low") + SPAN - 1)), lambda s: total(F.slice("same", s + 1, F.col("w"))) >= need))
+    def windows(j):  # never empty nor backwards, also on rows that another filter drops
+        first = F.greatest(F.lit(0), j - F.col("low") - F.col("w") + 1)
+        return F.sequence(first, F.greatest(first, F.least(F.col("last"), j - F.col("low") + SPAN - 1)))
+
+    around = F.exists("js", lambda j: F.exists(windows(j), lambda s: total(F.slice("same", s + 1, F.col("w"))) >= need))
     best = F.max(F.struct(total(F.col("same")).alias("n_equal"), F.size("same").alias("n_aligned"))).alias("best")
     return line.where(around).groupBy("doc_id", "th", "item").agg(best).select("doc_id", "th", "item", F.col("best.n_aligned").alias("n_aligned"), F.col("best.n_equal").alias("n_equal"))
 
