@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, packed, sliced, text_map, texts, unpacked, written
+from .common import discard, packed, sliced, spread_join, text_map, texts, unpacked, written
 from .xxh import xxh64_slices
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, which generates the Golay code
@@ -248,24 +248,26 @@ def links_of(fps: DataFrame, large: int = LARGE) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the graph of ``links`` (a, b): root is one node of the component, the same for all of it.
 
-    Alternates large-star and small-star steps until the links are stars; every step is a shuffle of the links, and the links
-    of one node are never gathered: its smallest neighbour is a combined minimum that is joined back.
+    Alternates large-star and small-star steps until the links are stars. The links of one node are never gathered: its smallest
+    neighbour is a combined minimum that is joined back, with the links of a star's centre dealt out.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before, first = None, True
     while True:
         # large-star: each node hands its smallest neighbour (itself included) to its larger neighbours
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = written(both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "lows")
+        large = spread_join(both.where("v > u"), low, [("u", "w")], F.col("v"), "inner")
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        discard(low)
         if not first:
             discard(edges)
         # small-star: each node joins its smaller neighbours to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        joined = large.join(low, F.col("u") == F.col("w"))
-        moved = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m"), "lows")
+        moved = spread_join(large, low, [("u", "w")], F.col("v"), "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges, first = written(low.select(F.col("w").alias("u"), F.col("m").alias("v")).union(moved).distinct(), "small-star"), False
         discard(large)
+        discard(low)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
