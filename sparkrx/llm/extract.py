@@ -288,7 +288,7 @@ def differenced(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("__host"), b.column("__list"), pa.array(cells, pa.list_(pa.bool_()))], names=["__h", "__l", "__shared"])
 
     drops = written(paired.select("__host", "__list", "__hashes", "__other").mapInArrow(shared, "__h string, __l long, __shared array<boolean>"), "shared-lines")
-    rows = spread_join(parsed.select("page_id", "url", "__lines", "__host", "__list"), drops, [("__host", "__h"), ("__list", "__l")], F.col("page_id"))
+    rows = spread_join(parsed.select("page_id", "url", "__lines", "__host", "__list"), drops, [("__host", "__h"), ("__list", "__l")], F.col("page_id"), cells=F.size("__shared"))
     return rows.select("page_id", "url", "__lines", "__shared")
 
 

@@ -131,7 +131,7 @@ def paths_with_findings(paths: DataFrame, ledger: DataFrame, versions: dict[str,
     label = F.get(F.array(*[F.lit(versions.get(k, "")) for k in KINDS]), F.col("f.kind"))
     known = known.where(F.array_contains("done", label))
     known = written(known.groupBy(F.col("blob").alias("__b")).agg(F.array_sort(F.collect_set("f")).alias("__f")), "findings")
-    out = spread_join(paths, known, [("blob", "__b")], F.col("doc_id"))
+    out = spread_join(paths, known, [("blob", "__b")], F.col("doc_id"), cells=F.size("__f") * 2)
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return out.select("doc_id", "blob", F.coalesce("__f", empty).alias("found"))
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkrx.llm import decontam, extract, langid, line_dedup, mixing, quality, secrets, simhash, toxicity, urls
+from sparkrx.llm import common, decontam, extract, langid, line_dedup, mixing, quality, secrets, simhash, toxicity, urls
 from sparkrx.llm.xxh import xxh64_slices
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -501,3 +501,17 @@ def test_long_texts_are_read_to_their_end(spark, monkeypatch):
     docs = [(k, prose(rng, k) + " " + item + " " + prose(rng, 40)) for k in range(60)] + [(99, prose(rng, 200))]
     got = decontam.found_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, item)], "item_id long, text string"))
     assert {(r.doc_id, r.item_id, r.n_equal) for r in got.collect()} == {(k, i, 14) for k in range(60) for i in (1, 2)}
+
+
+def test_hot_keys_are_dealt_out_whole(spark, monkeypatch):
+    """Beyond the broadcast limit every row still meets its partners, null keys included, whatever its key's share."""
+    big = spark.createDataFrame([(None if i % 7 == 0 else "hot" if i % 3 else f"k{i}", i) for i in range(400)], "k string, i long")
+    small = spark.createDataFrame([("hot", 1), (None, 2), ("k3", 3), ("other", 4)], "s string, v long")
+    expect = None
+    for limit in (common.SMALL_SIDE, 0):
+        monkeypatch.setattr(common, "SMALL_SIDE", limit)
+        for how in ("left", "inner"):
+            got = Counter(map(tuple, common.spread_join(big, small, [("k", "s")], F.col("i"), how).collect()))
+            assert sum(got.values()) == (400 if how == "left" else sum(1 for k, _ in big.collect() if k in ("hot", None, "k3")))
+        expect = expect or got
+        assert got == expect
