@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows of a table that go through Python at once are cut so that a batch holds at most about so many bytes of text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Tables of up to so many short rows (some 20 MB) are broadcast; into how many tasks a hot key is dealt beyond that.
 SMALL_SIDE, SALTS = 200_000, 16
 

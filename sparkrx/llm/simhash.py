@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, packed, sliced, spread_join, text_map, texts, unpacked, written
+from .common import BATCH_BYTES, discard, packed, sliced, spread_join, text_map, texts, unpacked, written
 from .xxh import xxh64_slices
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, which generates the Golay code
@@ -310,10 +310,16 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def shingle_sets(batch: list[bytes], shingle: int) -> list[np.ndarray]:
-    """The different shingles of each text, sorted."""
-    hashes, per_text = shingle_hashes(batch, shingle)
-    ends = np.cumsum(per_text)
-    return [np.unique(hashes[e - n : e]) for e, n in zip(ends.tolist(), per_text.tolist())]
+    """The different shingles of each text, sorted; about BATCH_BYTES of text are hashed at a time."""
+    out, begin, size = [], 0, 0
+    for i, text in enumerate(batch):
+        size += len(text)
+        if size >= BATCH_BYTES or i == len(batch) - 1:
+            hashes, per_text = shingle_hashes(batch[begin : i + 1], shingle)
+            ends = np.cumsum(per_text)
+            out += [np.unique(hashes[e - n : e]) for e, n in zip(ends.tolist(), per_text.tolist())]
+            begin, size = i + 1, 0
+    return out
 
 
 def levels(n: int) -> list[int]:
