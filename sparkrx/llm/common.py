@@ -77,18 +77,21 @@ def unpacked(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select("__row.*", *columns)
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], by: Column, how: str = "left", cells: Column | None = None) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], by: Column, how: str = "left", cells: Column | None = None, grows: bool = False) -> DataFrame:
     """``big`` joined to ``small`` on null-safe pairs of columns, some of which many rows of ``big`` may share.
 
     A small side of at most SMALL_SIDE rows (of short columns; ``cells`` counts the elements of long ones, eight to a row) is broadcast. Beyond that each of its rows is repeated SALTS times and the rows of ``big`` are
-    dealt by ``by``, so that a key that a third of them holds lands in SALTS tasks.
+    dealt by ``by``, so that a key that a third of them holds lands in SALTS tasks. A small side that ``grows`` with the big one is never
+    broadcast, so that the plan is the same at every size.
     """
     same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in on])
-    n, more = small.agg(F.count("*"), F.sum(cells if cells is not None else F.lit(0))).first()
-    if n + (more or 0) // 8 <= SMALL_SIDE:
-        return big.join(F.broadcast(small), same, how)
+    if not grows:
+        n, more = small.agg(F.count("*"), F.sum(cells if cells is not None else F.lit(0))).first()
+        if n + (more or 0) // 8 <= SMALL_SIDE:
+            return big.join(F.broadcast(small), same, how)
     small = small.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     big = big.withColumn("__salt1", F.pmod(F.xxhash64(F.lit(29), by), F.lit(SALTS)).cast("int"))
+    small = small.hint("merge") if grows else small
     return big.join(small, same & (F.col("__salt1") == F.col("__salt2")), how).drop("__salt1", "__salt2")
 
 

@@ -246,9 +246,12 @@ def line_hash(line: str) -> int:
 
 
 def differenced(pages: DataFrame) -> DataFrame:
-    """page_id, url, __lines (struct of text and state) and __shared (whether each line is shared; null without a neighbour) of every page.
+    """page_id, url, __states (of each line), __texts (of the lines that are not ruled out) and __shared (whether each line is shared; null
+    without a neighbour) of every page.
 
     Pages of a host with equal lines are one page when neighbours are paired, so a copy is compared with the nearest page that differs.
+    Pages are parsed twice, once for the hashes of their lines, which are kept, and once for the lines, which move to their decisions
+    once, without the text that markup rules out whatever a neighbour holds. Hosts are joined by their hashes, beside the lists' own.
     """
     schema = "page_id {}, url string, __lines array<struct<line:string,state:tinyint>>, __hashes array<long>, __list long".format(pages.schema["page_id"].dataType.simpleString())
 
@@ -265,10 +268,11 @@ def differenced(pages: DataFrame) -> DataFrame:
             )
 
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
-    parsed = pages.select("page_id", "url", "html").mapInArrow(parse, schema)
+    placed = pages.select("page_id", "url", "html").mapInArrow(parse, schema)
     host, path = F.coalesce(F.lower(F.regexp_extract(rest, "^[^/?#]*", 0)), F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
-    parsed = written(parsed.withColumn("__host", host).withColumn("__path", path), "page-lines")
-    lists = parsed.groupBy("__host", "__list").agg(F.min("__path").alias("__path"), F.first("__hashes").alias("__hashes")).withColumn("__one", F.lit(1).cast("long"))
+    placed = placed.withColumn("__host", host).withColumn("__path", path)
+    hashed = written(placed.select("__host", "__path", "__hashes", "__list"), "page-hashes")
+    lists = hashed.groupBy("__host", "__list").agg(F.min("__path").alias("__path"), F.first("__hashes").alias("__hashes")).withColumn("__one", F.lit(1).cast("long"))
     ranked = written(prefix_sums(lists, ["__host"], ["__path", "__list"], {"__one": "__rank"}, "page-order"), "page-ranks")
     hosts = ranked.groupBy(F.col("__host").alias("__h")).agg(F.count("*").alias("__n"))
     ranked = spread_join(ranked, hosts, [("__host", "__h")], F.col("__list"), "inner")
@@ -288,8 +292,11 @@ def differenced(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("__host"), b.column("__list"), pa.array(cells, pa.list_(pa.bool_()))], names=["__h", "__l", "__shared"])
 
     drops = written(paired.select("__host", "__list", "__hashes", "__other").mapInArrow(shared, "__h string, __l long, __shared array<boolean>"), "shared-lines")
-    rows = spread_join(parsed.select("page_id", "url", "__lines", "__host", "__list"), drops, [("__host", "__h"), ("__list", "__l")], F.col("page_id"), cells=F.size("__shared"))
-    return rows.select("page_id", "url", "__lines", "__shared")
+    states = F.transform("__lines", lambda x: x["state"])
+    kept = F.transform(F.filter("__lines", lambda x: x["state"] >= OPEN), lambda x: x["line"])
+    moved = placed.select("page_id", "url", states.alias("__states"), kept.alias("__texts"), F.xxhash64("__host").alias("__host"), "__list")
+    rows = spread_join(moved, drops.withColumn("__h", F.xxhash64("__h")), [("__host", "__h"), ("__list", "__l")], F.col("page_id"), grows=True)
+    return rows.select("page_id", "url", "__states", "__texts", "__shared")
 
 
 def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
@@ -301,9 +308,10 @@ def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
     is shared. Repeated rows get equal texts. Whole pages are read. An empty table gives no rows.
     """
     rows = differenced(pages)
-    state = F.transform("__lines", lambda x, i: F.struct(x["line"].alias("line"), x["state"].alias("state"), (F.coalesce(F.get("__shared", i), F.lit(False)) & F.lit(differencing)).alias("shared")))
-    rows = rows.select("page_id", "url", state.alias("__lines"))
-    stays = F.filter("__lines", lambda x: (x["state"] == KEEP) | (x["state"] == OPEN) & ~x["shared"])
+    lines = F.transform("__states", lambda x, i: F.struct(x.alias("state"), (F.coalesce(F.get("__shared", i), F.lit(False)) & F.lit(differencing)).alias("shared")))
+    rows = rows.select("page_id", "url", "__texts", lines.alias("__lines"))
+    beside = F.zip_with("__texts", F.filter("__lines", lambda x: x["state"] >= OPEN), lambda t, x: F.struct(t.alias("line"), x["state"].alias("state"), x["shared"].alias("shared")))
+    stays = F.filter(beside, lambda x: (x["state"] == KEEP) | ~x["shared"])
     over = F.filter("__lines", lambda x: (x["state"] == KEEP) & x["shared"] | (x["state"] < OPEN) & ~x["shared"])
     text = F.array_join(F.transform(stays, lambda x: x["line"]), "\n")
     rows = rows.select("page_id", "url", text.alias("text"), F.size("__lines").alias("n_lines"), F.size(over).alias("n_overruled"))
