@@ -24,6 +24,8 @@ SPACE = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 2 << 20
 #: Tables of up to so many short rows (some 20 MB) are broadcast; into how many tasks a hot key is dealt beyond that.
 SMALL_SIDE, SALTS = 200_000, 16
+#: Bits of the table that tells which rows a long list may hold: for each of its rows, and at most (8 MB). Spark's bitmaps are cut at 2^15 bits.
+SIFT_BITS, MOST_BITS, BITMAP = 16, 1 << 26, 15
 
 
 _own: dict[str, str] = {}
@@ -95,6 +97,34 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], by:
     return big.join(small, same & (F.col("__salt1") == F.col("__salt2")), how).drop("__salt1", "__salt2")
 
 
+def sifted_join(rows: DataFrame, listed: DataFrame, on: list[tuple[str, str]], how: str) -> DataFrame:
+    """``rows`` joined (inner, left_semi or left_anti) to a long list on null-safe pairs of columns of equal types.
+
+    The driver never holds the list, only a table of bits of MOST_BITS at most: a row whose bit is not set is not listed. The others are
+    shuffled and joined by the columns themselves, so keys that share a bit cost a move of some rows more but change no result.
+    """
+    bits, n = 1 << BITMAP, listed.count()
+    while bits < min(n * SIFT_BITS, MOST_BITS):
+        bits *= 2
+
+    def place(*columns: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(31), *columns), F.lit(bits))
+
+    def within(at: Column) -> Column:
+        return at.bitwiseAND(F.lit((1 << BITMAP) - 1))
+
+    at = place(*[y for _, y in on])
+    marks = listed.select(F.shiftright(at, BITMAP).alias("__bitmap"), within(at).alias("__bit"))
+    marks = F.broadcast(marks.groupBy("__bitmap").agg(F.bitmap_construct_agg("__bit").alias("__bits")))
+    at = place(*[x for x, _ in on])
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(within(at), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    looked = rows.join(marks, F.shiftright(at, BITMAP) == F.col("__bitmap"), "left")
+    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in on])
+    out = looked.where(may).select(*rows.columns).join(listed.hint("merge"), same, how)
+    return looked.where(~may).select(*rows.columns).unionByName(out) if how == "left_anti" else out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_BYTES, discard, packed, sliced, spread_join, text_map, texts, unpacked, written
+from .common import BATCH_BYTES, discard, packed, sifted_join, sliced, spread_join, text_map, texts, unpacked, written
 from .xxh import xxh64_slices
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, which generates the Golay code
@@ -36,8 +36,8 @@ LARGE = 4096
 PARTS = 32
 #: Candidates of up to so many shingles in all are compared in one task; more are dealt into blocks, every two of which meet.
 BLOCK = 1 << 20
-#: Lists of up to so many rows are broadcast; longer ones are joined by shuffle.
-SMALL_LIST = 500_000
+#: Lists of up to so many rows are broadcast; longer ones are joined by shuffle, and the driver does not hold them.
+SMALL_LIST = 2_000
 
 
 @cache
@@ -384,7 +384,9 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 def _rows_of(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
     """``docs`` (with their id ``__d`` and the hash ``__xx`` of their text) joined to a list of rows (__id, __th)."""
-    return docs.join(_listed(listed), F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__xx") == F.col("__th")), how)
+    if listed.count() > SMALL_LIST:
+        return sifted_join(docs, listed, [("__d", "__id"), ("__xx", "__th")], how)
+    return docs.join(F.broadcast(listed), F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__xx") == F.col("__th")), how)
 
 
 def candidates(nodes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from sparkrx.llm import simhash
+from sparkrx.llm import common, simhash
 
 from .test_operators import SCHEMA, prose
 
@@ -75,3 +75,17 @@ def test_blocks_meet(spark, copies, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 100)
     rows = [(i, copies[6][1] + f" end{i % 7} last{i}", "a", "s0", "x", 1) for i in range(30)]
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), None).collect()} == brute_first(rows)
+
+
+@pytest.mark.parametrize("bits", [common.SIFT_BITS, 0])
+def test_long_lists_are_not_broadcast(spark, monkeypatch, bits):
+    """A list of 3,000 rows, null ids among them, and its rows out of 9,000; with the fewest bits most tables' bits are shared."""
+    monkeypatch.setattr(common, "SIFT_BITS", bits)
+    rows = [(None if k % 9 == 0 else k, k * 7919 % 2**31 - 2**30, f"text {k}") for k in range(9000)]
+    docs = spark.createDataFrame(rows, "__d long, __xx long, text string")
+    listed = spark.createDataFrame([(i, x, k) for k, (i, x, _) in enumerate(rows) if k % 3 == 0] + [(-1, 5, -1)], "__id long, __th long, k long")
+    for how, expect in (("inner", rows[::3]), ("left_anti", [r for k, r in enumerate(rows) if k % 3])):
+        got = simhash._rows_of(docs, listed, how)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [coalesce(__d" in plan and "BroadcastHashJoin [coalesce(__d" not in plan
+        assert Counter(tuple(r)[:3] for r in got.collect()) == Counter(expect)
